@@ -72,7 +72,12 @@ class Feistel:
                 right = (right - self.mixed(left, r)) % self.b
         return left * self.b + right
 
+    def inside(self, x: int) -> None:
+        if not 0 <= x < self.n:
+            raise ValueError(f"{x} is not in 0..n-1 for n = {self.n}")
+
     def position(self, x: int) -> int:
+        self.inside(x)
         x = self.once(x)
         while x >= self.n:
             x = self.once(x)
@@ -80,6 +85,7 @@ class Feistel:
 
     def row(self, position: int) -> int:
         """The row number at a position: the inverse of ``position``."""
+        self.inside(position)
         x = self.back(position)
         while x >= self.n:
             x = self.back(x)
@@ -91,6 +97,8 @@ class Feistel:
         Cycles that lie wholly outside don't count: no walk from a row gets
         there. What hasn't come back after as many steps as points lies on one.
         """
+        if not self.n:
+            return 0
         x = np.arange(self.n, self.a * self.b, dtype=np.int64)
         longest = 0
         for step in range(1, len(x) + 1):

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 from quillspan.llm.sharding import SHARDS, Feistel, number_at, place, shard
 
@@ -44,6 +45,20 @@ def test_every_row_with_nulls_ties_and_repeated_rows(spark):
     assert all((r.shard, r.slot) == place(r.number, len(rows), 3) for r in out)
 
 
+def test_empty_table(spark):
+    assert Feistel(0).longest_walk() == 0
+    out = shard(spark.createDataFrame([], "doc_id long, text string"))
+    assert out.columns == ["doc_id", "text", "number", "position", "shard", "slot"] and out.count() == 0
+
+
+def test_outside_positions_raise():
+    for n, x in ((0, 0), (5, 5), (5, -1)):
+        with pytest.raises(ValueError):
+            Feistel(n).position(x)
+        with pytest.raises(ValueError):
+            Feistel(n).row(x)
+
+
 def test_query_and_oracle(spark):
     import __spark_entry__ as entry
 

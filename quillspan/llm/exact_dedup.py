@@ -51,3 +51,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", salts:
 
 def _orderable(docs: DataFrame) -> bool:
     return False
+
+
+ORACLE_SQL = """
+SELECT doc_id, text, lang, source, n_chars, copies
+FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) AS nth, count(*) OVER (PARTITION BY text) AS copies FROM documents)
+WHERE nth = 1
+"""

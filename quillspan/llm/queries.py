@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import exact_dedup, sharding
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_sharding": op4_sharding}
-ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.ORACLE_SQL}
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), copies="copies")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_sharding": op4_sharding, "op10_exact_dedup": op10_exact_dedup}
+ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, line_dedup, sharding
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +21,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), copies="copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_sharding": op4_sharding, "op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL: dict[str, str] = {"op4_sharding": sharding.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_line_dedup": op3_line_dedup, "op4_sharding": op4_sharding, "op10_exact_dedup": op10_exact_dedup}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_sharding": sharding.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}

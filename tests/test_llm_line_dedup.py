@@ -1,0 +1,30 @@
+import duckdb
+
+from quillspan.llm.line_dedup import line_dedup
+
+DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string"
+
+
+def test_nulls_ties_repeated_rows_and_blank_lines(spark):
+    docs = [(2, "a\nb\n\nc"), (1, "b\n\n  \nb"), (3, None), (4, ""), (5, "c"), (6, "d\n"), (6, "d\n"), (None, "e\nc"), (7, "e"), (8, "C\nc ")]
+    want = [(2, "a\n\nc", 1), (1, "b\n\n  ", 1), (3, None, 0), (4, "", 0), (5, "", 1), (6, "d\n", 0), (6, "", 1), (None, "", 2), (7, "e", 0), (8, "C\nc ", 0)]
+    for k in (1, 5):
+        out = line_dedup(spark.createDataFrame(docs, SCHEMA).repartition(k))
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_empty_table(spark):
+    out = line_dedup(spark.createDataFrame([], SCHEMA))
+    assert out.columns == ["doc_id", "text", "removed"] and out.count() == 0
+
+
+def test_query_and_oracle(spark):
+    import __spark_entry__ as entry
+
+    got = entry.queries()["op3_line_dedup"](spark, DATA).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
+    want = con.execute(entry.oracle_sql()["op3_line_dedup"]).df()
+    assert list(got.columns) == list(want.columns) and len(got) == 200 and got["removed"].sum() > 0
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))

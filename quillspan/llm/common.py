@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -21,32 +22,54 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 20
 
 
-# ---------------------------------------------------------------- scratch
+# ---- scratch tables
+_own: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir, or a folder of our own where none is set."""
+    """The shared folder named by spark.checkpoint.dir; where none is set, a folder of our own, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        atexit.register(shutil.rmtree, base[len("file://"):], True)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="quillspan-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return f"file://{_own[0]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, never a recomputation.
+    ``discard`` removes the table.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df._scratch_path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def named(name: str):
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def drop_clashes(df: DataFrame, *new: str) -> DataFrame:
     """``df`` without columns whose names an operator is about to add (case-insensitive)."""
     taken = {n.lower() for n in new}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[named(c) for c in df.columns if c.lower() not in taken])
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -57,9 +80,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-# ---------------------------------------------------------------- Arrow text
+# ---- Arrow text
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
     data = column.buffers()[2]
@@ -76,7 +101,7 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-# ---------------------------------------------------------------- hashing
+# ---- hashing
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +178,7 @@ def lower_texts(column: pa.Array) -> pa.Array:
 
 
 def word_hash(word: str) -> int:
-    """The hash that ``words`` gives to one word."""
+    """The hash that ``words`` gives to one word (lower case)."""
     flat = np.frombuffer(word.encode(), np.uint8)
     return int(words(flat, np.array([0, len(flat)]))[0][0])
 
@@ -161,3 +186,33 @@ def word_hash(word: str) -> int:
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Offsets of each row's run in a sorted row-number array."""
     return np.searchsorted(row, np.arange(n + 1))
+
+
+def ragged(offsets: np.ndarray, blob: np.ndarray) -> pa.Array:
+    """A binary column with the bytes between each two of ``offsets``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(blob))])
+
+
+# ---- membership filter of a fixed size
+BLOOM_BITS = 26
+
+
+def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS):
+    """A predicate on a long column that holds for all ``ids[column]`` and few others.
+
+    The filter has 2**bits bits whatever the table's size, so what is sent to the
+    executors is at most 8 MB; a full one only lets more rows through.
+    """
+    at = F.pmod(named(column), F.lit(1 << bits))
+    words_ = ids.select((at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words_["w"].to_numpy(np.int64)] = words_["b"].to_numpy(np.int64)
+    flags = np.unpackbits(table.astype("<i8").view(np.uint8), bitorder="little") if len(words_) else np.zeros(1 << bits, np.uint8)
+    packed = np.packbits(flags)
+
+    @F.pandas_udf("boolean")
+    def inside(x: pd.Series) -> pd.Series:
+        k = x.to_numpy(np.int64) & ((1 << bits) - 1)
+        return pd.Series((packed[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1)
+
+    return inside

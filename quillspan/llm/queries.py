@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, line_dedup, sharding
+from . import exact_dedup, jaccard, line_dedup, quality, sharding, toxicity, warc
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return out.withColumn("headers", warc.as_text(F.col("headers")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), copies="copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op3_line_dedup, op4_sharding, op10_exact_dedup)}
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": jaccard.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op4_sharding": sharding.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op3_line_dedup, op4_sharding, op5_warc_revisits, op6_quality, op7_toxicity, op10_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": jaccard.ORACLE_SQL, "op3_line_dedup": line_dedup.ORACLE_SQL, "op4_sharding": sharding.ORACLE_SQL, "op5_warc_revisits": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -2,8 +2,9 @@
 
 Three stages, each comparing the full text and not just its digest:
 
-1. *local*: the map-side half of the first aggregation keeps one row for each
-   (digest, text, salt) of a partition before anything is shuffled;
+1. *local*: the map-side half of the first aggregation leaves one row for each
+   text of a partition before anything is shuffled, since all rows of a
+   partition have one salt;
 2. *salted*: partial winners meet by (digest, text, salt), so that a text with
    millions of copies is spread over ``salts`` tasks;
 3. *global*: the at most ``salts`` winners of each text meet by (digest, text).
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import named
 
 SALTS = 16
 
@@ -23,34 +24,31 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", salts:
     """The earliest row of each distinct text, with all its columns.
 
     Earliest: the smallest ``key``, null keys last; among equal keys the row
-    whose columns hash lowest, so the result doesn't depend on partitioning.
-    Nulls: rows with a null text are copies of one another; an empty text
-    differs from null. Texts of any length are compared in full. Repeated rows
-    leave one. An empty table gives an empty table. Extra columns are kept,
-    whatever their names. ``copies`` names a column to add with the number of
-    rows that the kept one stands for (an input column of that name is replaced).
+    whose columns are smallest in turn, nulls first, so the result doesn't
+    depend on partitioning. Nulls: rows with a null text are copies of one
+    another; an empty text differs from null. Texts of any length are compared
+    in full. Repeated rows leave one. An empty table gives an empty table. Extra
+    columns are kept, whatever their names. ``copies`` names a column to add
+    with the number of rows that the kept one stands for (an input column of
+    that name is replaced; it can't be ``text`` or ``key``).
     """
+    if copies is not None and copies.lower() in (text.lower(), key.lower()):
+        raise ValueError("copies needs a name of its own")
     columns = [c for c in docs.columns if copies is None or c.lower() != copies.lower()]
-    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
-    digest, salt, win, n, rank, whole = (fresh(docs, x) for x in ("digest", "salt", "win", "n", "rank", "text"))
-    rest = F.struct(*[F.col(f"`{c}`") for c in columns if c != text], F.lit(0).alias("__pad"))
-    orderable = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rest = [c for c in columns if c.lower() != text.lower()]
+    kinds = dict(docs.dtypes)
+    ties = [F.to_json(F.struct(named(c))) if "map<" in kinds[c] or "variant" in kinds[c] else named(c) for c in rest]
     ranked = docs.select(
-        F.xxhash64(F.col(f"`{text}`")).alias(digest),
-        F.col(f"`{text}`").alias(whole),
-        F.pmod(F.xxhash64(*orderable), F.lit(salts)).cast("int").alias(salt),
-        F.struct(F.col(f"`{key}`").isNull().alias("a"), F.col(f"`{key}`").alias("b"), F.xxhash64(*orderable).alias("c")).alias(rank),
-        rest.alias(win),
+        F.xxhash64(named(text)).alias("digest"),
+        named(text).alias("whole"),
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+        F.struct(named(key).isNull().alias("a"), named(key).alias("b"), *[c.alias(f"t{i}") for i, c in enumerate(ties)]).alias("rank"),
+        F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"),
     )
-    by_salt = ranked.groupBy(digest, whole, salt).agg(F.min(F.struct(rank, win)).alias(win) if _orderable(docs) else F.min_by(F.struct(rank, win), rank).alias(win), F.count(F.lit(1)).alias(n))
-    best = F.min_by(win, F.col(f"{win}.{rank}"))
-    final = by_salt.groupBy(digest, whole).agg(best.alias(win), F.sum(n).alias(n))
-    out = [F.col(whole).alias(c) if c == text else F.col(f"{win}.{win}.`{c}`").alias(c) for c in columns]
-    return final.select(*out, *([F.col(n).alias(copies)] if copies else []))
-
-
-def _orderable(docs: DataFrame) -> bool:
-    return False
+    by_salt = ranked.groupBy("digest", "whole", "salt").agg(F.min_by(F.struct("rank", "row"), "rank").alias("win"), F.count("*").alias("n"))
+    final = by_salt.groupBy("digest", "whole").agg(F.min_by("win.row", "win.rank").alias("row"), F.sum("n").alias("n"))
+    out = [F.col("whole").alias(c) if c.lower() == text.lower() else F.col(f"row.c{rest.index(c)}").alias(c) for c in columns]
+    return final.select(*out, *([F.col("n").alias(copies)] if copies else []))
 
 
 ORACLE_SQL = """

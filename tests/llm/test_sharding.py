@@ -1,9 +1,8 @@
-import duckdb
 import pytest
 
 from quillspan.llm.sharding import SHARDS, Feistel, number_at, place, shard
 
-DATA = "/root/testdata/sf0.001"
+from .oracle import both
 
 
 def test_column_walk_is_position(spark):
@@ -60,12 +59,5 @@ def test_outside_positions_raise():
 
 
 def test_query_and_oracle(spark):
-    import __spark_entry__ as entry
-
-    got = entry.queries()["op4_sharding"](spark, DATA).toPandas()
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
-    want = con.execute(entry.oracle_sql()["op4_sharding"]).df()
-    assert list(got.columns) == list(want.columns) and len(got) == 200
-    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
-    assert got["shard"].nunique() == SHARDS
+    columns, got, want = both(spark, "op4_sharding")
+    assert got == want and len(got) == 200 and len({r[columns.index("shard")] for r in got}) == SHARDS

@@ -115,11 +115,9 @@ def _features(docs: DataFrame, text: str, key: str) -> DataFrame:
 def _scored(model: Ranker):
     held = model
 
-    @F.pandas_udf("double")
-    def scored(x):
-        import pandas as pd
-
-        return pd.Series(held.score(np.array(x.tolist(), np.float64).reshape(-1, len(NAMES))) if len(x) else [])
+    @F.arrow_udf("double")
+    def scored(x: pa.Array) -> pa.Array:
+        return pa.array(held.score(x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(NAMES))), pa.float64())
 
     return scored
 
@@ -174,11 +172,9 @@ def drop_poor(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     discard(table)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
-        return pd.Series(held.value.score(text_features(pa.Array.from_pandas(texts, pa.large_string()))))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(held.value.score(text_features(texts).astype(np.float32).astype(np.float64)), pa.float64())
 
     to = fresh(docs, "score")
     return docs.withColumn(to, scored(named(text))).where(F.col(to) >= model.threshold).drop(to)

@@ -58,7 +58,7 @@ def test_held_out_and_edge_cases(spark):
     right = [by[i] == bool(good[i]) for i in range(250, 500)]
     assert np.mean(right) > 0.97
     kept = Q.drop_poor(docs, labels)
-    assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in got if r.keep)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.keep)
     assert Q.quality(docs, labels.where("quality = 1")).where("keep").count() == len(rows)
     assert Q.quality(docs.limit(0), labels).count() == 0
 

@@ -7,13 +7,13 @@ code is only left where an algorithm is inherently sequential.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +61,12 @@ def discard(*tables: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished stages, which it does once the driver has collected their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def named(name: str):
     """The column of that name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -210,9 +216,9 @@ def bloom(ids: DataFrame, column: str, bits: int = BLOOM_BITS):
     flags = np.unpackbits(table.astype("<i8").view(np.uint8), bitorder="little") if len(words_) else np.zeros(1 << bits, np.uint8)
     packed = np.packbits(flags)
 
-    @F.pandas_udf("boolean")
-    def inside(x: pd.Series) -> pd.Series:
-        k = x.to_numpy(np.int64) & ((1 << bits) - 1)
-        return pd.Series((packed[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def inside(x: pa.Array) -> pa.Array:
+        k = x.to_numpy(zero_copy_only=False) & ((1 << bits) - 1)
+        return pa.array((packed[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1)
 
     return inside

@@ -46,7 +46,7 @@ def _windows(lines: Column, n: Column, size: int, step: int) -> Column:
 def line_chunks(files: DataFrame, size: int = 30) -> DataFrame:
     """(path, start_line, end_line, content): windows of lines, overlapping by a tenth, blank ones dropped."""
     step = size - min(3, size // 4)
-    body = F.regexp_replace(F.col("content"), "\n$", "")
+    body = F.regexp_replace(F.col("content"), r"\n\z", "")
     lines = F.split(body, "\n", -1)
     out = files.withColumn("_lines", lines).select("path", F.explode(_windows(F.col("_lines"), F.size("_lines"), size, step)).alias("c")).select("path", "c.*")
     return out.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")

@@ -154,3 +154,52 @@ def python_symbols(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "name", "kind", "start_line", "end_line"])
 
     return files.select("path", "content").mapInPandas(run, "path string, name string, kind string, start_line int, end_line int")
+
+
+def merge_small(chunks: DataFrame, small: int = 100, most: int = 2000) -> DataFrame:
+    """Touching chunks of a file folded from the top: a chunk under ``small`` bytes takes the next as long as both fit ``most``."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        out: list[list] = []
+        for r in part.sort_values(["start_line", "end_line"]).itertuples(index=False):
+            last = out[-1] if out else None
+            size = len(r.content.encode())
+            if last and last[4] < small and last[4] + size <= most and last[2] + 1 >= r.start_line:
+                last[2], last[3], last[4] = max(last[2], r.end_line), last[3] + "\n" + r.content, last[4] + 1 + size
+            else:
+                out.append([r.path, r.start_line, r.end_line, r.content, size])
+        return pd.DataFrame([x[:4] for x in out], columns=["path", "start_line", "end_line", "content"])
+
+    return chunks.select("path", "start_line", "end_line", "content").groupBy("path").applyInPandas(fold, "path string, start_line int, end_line int, content string")
+
+
+def batches(items: DataFrame, most_tokens: int = 7500, most_items: int = 64, group: str = "file_path") -> DataFrame:
+    """(group, id, batch): each group's items in order of id, a new batch where the next would not fit."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        rows, batch, used, held = [], 0, 0, 0
+        for key, i, n in part.sort_values("id")[[group, "id", "tokens"]].itertuples(index=False):
+            if held and (used + n > most_tokens or held >= most_items):
+                batch, used, held = batch + 1, 0, 0
+            used, held = used + n, held + 1
+            rows.append((key, i, batch))
+        return pd.DataFrame(rows, columns=[group, "id", "batch"])
+
+    return items.groupBy(group).applyInPandas(pack, f"{group} string, id long, batch int")
+
+
+def same_file_targets(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Calls (id, file_path, target_name) with the symbol of that name in the file, if it is the only one."""
+    only = symbols.groupBy("file_path", F.col("name").alias("target_name")).agg(F.count("*").alias("n"), F.min("id").alias("to_symbol_id")).where("n = 1").drop("n")
+    return calls.join(only, ["file_path", "target_name"], "left")
+
+
+def fallback_to_lines(semantic: DataFrame, lines: DataFrame, most: int) -> DataFrame:
+    """Semantic chunks of each path, or its line chunks where there are more than ``most``."""
+    many = semantic.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return semantic.join(many, "path", "left_anti").unionByName(lines.join(many, "path", "left_semi"))
+
+
+def coalesce_failures(records: DataFrame) -> DataFrame:
+    """One record for each (attempts, at, error), with all its chunks in order."""
+    return records.groupBy("attempts", "at", "error").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))

@@ -80,3 +80,8 @@ def without_nested(ranked: DataFrame) -> DataFrame:
     a, b = ranked.alias("a"), ranked.select("query_id", "file_path", "rank", "start_line", "end_line").alias("b")
     inside = F.expr("a.query_id = b.query_id and a.file_path = b.file_path and b.rank < a.rank and b.start_line <= a.start_line and b.end_line >= a.end_line")
     return a.join(b, inside, "left_anti")
+
+
+def narrow(rows: DataFrame, by: list[str], flag: str = "fits") -> DataFrame:
+    """Only rows that fit, in each group that has any; all of the others."""
+    return rows.withColumn("_any", F.max(flag).over(Window.partitionBy(*by))).where(F.col(flag) | ~F.col("_any")).drop("_any")

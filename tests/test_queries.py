@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillspan.plans.queries import ORACLE_SQL, QUERIES
+from quillspan.plans.more import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -17,7 +17,7 @@ def search_tokens(c: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]", " "), " +"), lambda x: F.octet_length(x) > 2)
 
 
-STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "what", "where", "how", "does", "are", "is", "in", "to", "of", "a", "an", "on", "by")
+STOP_WORDS = tuple("a an and are by does for from how in is of on that the this to what where with".split())
 
 
 def ranking_tokens(c: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dirname, estimated_tokens, language, matches_any
 
-INCLUDE = ["**/*.{ts,tsx,js,jsx,mjs}", "**/*.py", "**/*.rs", "**/*.go", "**/*.java", "**/*.{c,h,cpp,cc,hpp}", "**/*.rb", "**/*.php", "**/*.md"]
-EXCLUDE = ["**/node_modules/**", "**/dist/**", "**/target/**", "**/vendor/**", "**/*.min.js", "**/*.lock"]
+INCLUDE = [f"**/*.{e}" for e in "c cc cpp go h hpp java js jsx md mjs php py rb rs ts tsx".split()]
+EXCLUDE = [f"**/{d}/**" for d in "dist node_modules target vendor".split()] + ["**/*.lock", "**/*.min.js"]
 
 
 def included(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:

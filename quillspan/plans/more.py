@@ -208,7 +208,7 @@ def removed_chunks(t: Tables) -> DataFrame:
     return incremental.removed_chunks(t.customer.selectExpr("c_custkey as chunk_id"), t.orders.selectExpr("o_custkey as chunk_id"))
 
 
-@query("SELECT CAST(floor(epoch_us(ts) / 3700001000) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def telemetry_hourly(t: Tables) -> DataFrame:
     out = incremental.telemetry_stream(t.events.withColumn("ts", F.col("ts").cast("timestamp")))
     return out.select(F.floor(F.unix_seconds("window.start") / 3600).alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

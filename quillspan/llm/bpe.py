@@ -15,16 +15,18 @@ pattern that the vocabulary was made with.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_clashes, named
+from .common import BYTE_CODES, CHUNK_BYTES, drop_clashes, mix, named, prefix_hash, range_hash
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,6 +46,7 @@ class Vocabulary:
         self.merged: dict[tuple[int, int], int] = {}
         self.follows: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.bytes: tuple[np.ndarray, np.ndarray] | None = None
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             pair = self._merge(token, rank)
             if pair:
@@ -127,6 +130,13 @@ class Vocabulary:
         known, piece = self.known, self.piece
         return list(chain.from_iterable([known.get(p) or piece(p) for p in self.pattern.findall(text)]))
 
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all tokens end to end by id, and where each begins."""
+        if self.bytes is None:
+            parts = [self.token.get(i, b"") for i in range(max(self.token, default=-1) + 1)]
+            self.bytes = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        return self.bytes
+
     def decode_bytes(self, tokens) -> bytes:
         token = self.token
         return b"".join([token[t] for t in tokens])
@@ -192,6 +202,85 @@ class Encoded:
         return [t for _, last in self.pieces for t in self.v.walk(last)]
 
 
+# ---- pieces of whole batches
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = True
+_KIND = np.full(256, 3, np.uint8)  # 0 white space, 1 letters, 2 digits, 3 others
+_KIND[_LETTER] = 1
+_KIND[48:58] = 2
+_KIND[[9, 10, 11, 12, 13, 32]] = 0
+_PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x7e\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\xff]*")
+_SUFFIX = re.compile(b"'(?:s|t|re|ve|m|ll|d)")
+
+
+def split_plain(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of ``PATTERN`` in Latin-1 texts that lie end to end between ``bounds``.
+
+    For texts of the characters in ``_PLAIN``, of which it is certain how the
+    pattern takes them.
+    """
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _KIND[codes]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    start = edge[:-1].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # the last character of white space before anything else of the same text stands alone, or goes with it if it is a space
+    last = np.zeros(n, bool)
+    last[:-1] = (kind[:-1] == 0) & (kind[1:] != 0) & ~edge[1:-1]
+    start |= last
+    joined = np.flatnonzero(last & (codes == 32)) + 1
+    start[joined] = False
+    # an apostrophe that begins a piece takes a suffix with it
+    marks = np.flatnonzero((codes[:-1] == 39) & start[:-1] & (kind[1:] == 1) & ~edge[1:-1])
+    if len(marks):
+        raw = codes.tobytes()
+        ends = bounds[np.searchsorted(bounds, marks, "right")]
+        for at, end in zip(marks.tolist(), ends.tolist(), strict=True):
+            m = _SUFFIX.match(raw, at, end)
+            if m:
+                start[at + 1] = False
+                if m.end() < end and kind[m.end()] == 1:
+                    start[m.end()] = True
+    return np.flatnonzero(start)
+
+
+def encode_batch(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all texts end to end, offsets). Each different piece of the batch is encoded once."""
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+    plain = [i for i, t in enumerate(texts) if _PLAIN.fullmatch(t)] if v.pattern.pattern == PATTERN else []
+    at = 0
+    while at < len(plain):
+        size, to = 0, at
+        while to < len(plain) and (to == at or size + len(texts[plain[to]]) <= CHUNK_BYTES):
+            size, to = size + len(texts[plain[to]]), to + 1
+        part = [texts[i].encode("latin-1") for i in plain[at:to]]
+        raw = b"".join(part)
+        codes = np.frombuffer(raw, np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in part])]).astype(np.int64)
+        start = split_plain(codes, bounds)
+        end = np.append(start[1:], len(codes)) if len(start) else start
+        prefix = prefix_hash(BYTE_CODES[codes])
+        h = mix(range_hash(prefix, start, end) + (end - start).astype(np.uint64))
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        pieces = [v.piece(raw[a:b].decode("latin-1")) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        many = np.array([len(p) for p in pieces], np.int64)
+        flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(many.sum()))
+        begin = np.concatenate([[0], np.cumsum(many)])[:-1]
+        count = many[which] if len(which) else many
+        total = np.concatenate([[0], np.cumsum(count)])
+        tokens = flat[np.repeat(begin[which] - total[:-1], count) + np.arange(total[-1])] if len(which) else flat
+        cut = total[np.searchsorted(start, bounds)]
+        for k, i in enumerate(plain[at:to]):
+            out[i] = tokens[cut[k]: cut[k + 1]]
+        at = to
+    for i in sorted(set(range(len(texts))) - set(plain)):
+        out[i] = np.array(v.encode(texts[i]), np.int32)
+    return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum([len(x) for x in out])])
+
+
 def encode(docs: DataFrame, text: str = "text", to: str = "tokens", path: str = VOCABULARY) -> DataFrame:
     """``docs`` with a column of token ids; the file at ``path`` is read on every executor.
 
@@ -204,15 +293,16 @@ def encode(docs: DataFrame, text: str = "text", to: str = "tokens", path: str =
 
     @F.arrow_udf("array<int>")
     def tokens(texts: pa.Array) -> pa.Array:
-        v = vocabulary(path)
-        return pa.array([None if t is None else v.encode(t) for t in _strings(texts)], pa.list_(pa.int32()))
+        flat, offsets = encode_batch(vocabulary(path), [t or "" for t in texts.to_pylist()])
+        return _lists(offsets, pa.array(flat, pa.int32()), texts)
 
     return docs.withColumn(to, tokens(named(text)))
 
 
-def _strings(texts: pa.Array) -> Iterator[str | None]:
-    for t in texts:
-        yield t.as_py()
+def _lists(offsets: np.ndarray, values: pa.Array, like: pa.Array) -> pa.Array:
+    """A list column that is null where ``like`` is."""
+    at = pa.array(offsets[:-1].tolist() + [int(offsets[-1])], pa.int32(), mask=np.append(like.is_null().to_numpy(zero_copy_only=False), False)) if like.null_count else pa.array(offsets, pa.int32())
+    return pa.ListArray.from_arrays(at, values)
 
 
 def decode(table: DataFrame, tokens: str = "tokens", to: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -224,7 +314,18 @@ def decode(table: DataFrame, tokens: str = "tokens", to: str = "text", path: str
 
     @F.arrow_udf("string")
     def texts(column: pa.Array) -> pa.Array:
-        v = vocabulary(path)
-        return pa.array([None if not t.is_valid else v.decode_bytes(t.as_py()).decode("utf-8", "replace") for t in column], pa.string())
+        raw, size = vocabulary(path).table()
+        out = []
+        for lo in range(0, len(column), 256):
+            part = column.slice(lo, 256)
+            ids = part.flatten().to_numpy(zero_copy_only=False)
+            if len(ids) and (ids.dtype.kind == "f" or ids.min() < 0 or ids.max() >= len(size) - 1 or (np.diff(size)[ids] == 0).any()):
+                raise ValueError("a token that the vocabulary doesn't have")
+            many = size[ids + 1] - size[ids]
+            total = np.concatenate([[0], np.cumsum(many)])
+            text = raw[np.repeat(size[ids] - total[:-1], many) + np.arange(total[-1])].tobytes()
+            cut = total[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))])].tolist()
+            out += [text[a:b].decode("utf-8", "replace") if known else None for a, b, known in zip(cut[:-1], cut[1:], part.is_valid().to_pylist(), strict=True)]
+        return pa.array(out, pa.string())
 
     return table.withColumn(to, texts(named(tokens)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, mix, named, pieces, row_bounds, text_buffers, words
+from .common import discard, fresh, materialize, named, pieces, row_bounds, text_buffers, words
 
 NAMES = ("log_words", "symbols", "digits", "upper", "bytes_a_word", "distinct", "repeats", "lines_a_word", "same_lines", "marks", "spaces", "top_word")
 MAX_LABELLED = 20_000

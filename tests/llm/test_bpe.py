@@ -31,6 +31,17 @@ def test_against_another_implementation(both):
         assert got == r.encode_ordinary(t) and v.decode_bytes(got) == t.encode()
 
 
+def test_batches_against_another_implementation(both):
+    v, r = both
+    rng = random.Random(5)
+    marks = ["'s", "'re", "'sabc", "''s", " 's", "\n's", "1's", "!'s", "'", " ", "  ", "\n", "\t ", "é", "ÀB", "x", "9", "#", "²", "\xa0", "日", "\x1c", "\x85", "_", "'ll", "'LL", "ª", "×"]
+    texts = TEXTS + ["".join(rng.choices(marks, k=rng.randrange(0, 12))) for _ in range(3000)] + [random_text(rng) for _ in range(500)]
+    flat, offsets = bpe.encode_batch(v, texts)
+    for i, t in enumerate(texts):
+        assert flat[offsets[i]: offsets[i + 1]].tolist() == r.encode_ordinary(t), t
+    assert bpe.encode_batch(v, [])[1].tolist() == [0]
+
+
 def test_every_prefix_has_its_last_token(both):
     v, r = both
     for t in ("internationalization", "aaaaaaaaaaaaaaaa", "thereionththe"):

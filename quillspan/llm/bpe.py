@@ -30,7 +30,7 @@ from .common import BYTE_CODES, CHUNK_BYTES, drop_clashes, mix, named, prefix_ha
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 400_000
+CACHED = 1_000_000
 CACHED_BYTES = 64
 NO_LIMIT = 1 << 62
 
@@ -41,7 +41,10 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.token = {r: b for b, r in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.reach: dict[bytes, int] = {}  # the longest token that ends with these two bytes
+        for token in ranks:
+            if len(token) > 1:
+                self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.follows: dict[tuple[int, int], bool] = {}
@@ -72,7 +75,7 @@ class Vocabulary:
         pair = (left, right)
         known = self.follows.get(pair)
         if known is None:
-            if len(self.follows) > 4 * CACHED:
+            if len(self.follows) > 2 * CACHED:
                 self.follows.clear()
             known = self.follows[pair] = self._seam(left, right)
         return known
@@ -92,11 +95,19 @@ class Vocabulary:
 
     def extend(self, raw: bytes, last: list[int]) -> list[int]:
         """``last`` (the last token of each prefix of ``raw`` that is known) completed to all prefixes, in place."""
-        ranks, token = self.ranks, self.token
+        get, follows, reach = self.ranks.get, self.follows.get, self.reach.get
         for end in range(len(last) + 1, len(raw) + 1):
-            for size in range(min(end, self.longest), 0, -1):
-                t = ranks.get(raw[end - size: end])
-                if t is not None and (self.plain(t) if size == end else self.may_follow(last[end - size - 1], t)):
+            for start in range(max(0, end - reach(raw[max(0, end - 2): end], 1)), end):
+                t = get(raw[start:end])
+                if t is None:
+                    continue
+                if start:
+                    fits = follows((last[start - 1], t))
+                    if fits is None:
+                        fits = self.may_follow(last[start - 1], t)
+                else:
+                    fits = self.plain(t)
+                if fits:
                     last.append(t)
                     break
             else:

@@ -7,8 +7,9 @@ of the quartile differences plus that of the length codes; it is bounded: what
 is beyond ``BOUND`` is as good as unlike.
 
 Neighbours are found exactly: digests with a score of at most ``BOUND`` differ
-in at most ``BOUND`` buckets, so of ``BOUND + 1`` segments one is equal. Digests
-meet by (segment, its bits, length code), each pair once.
+in at most ``BOUND`` buckets, so of ``BOUND + 1`` segments one is equal, and
+their length codes lie in one range of ``BOUND + 1`` codes or in adjacent ones.
+Digests meet by (segment, its bits, range of length codes), each pair once.
 """
 
 from __future__ import annotations
@@ -88,39 +89,44 @@ def segment_keys(raw: np.ndarray, bound: int = BOUND) -> np.ndarray:
 def _near(distinct: DataFrame, bound: int) -> DataFrame:
     """(a, b, score) of all pairs of distinct digests with a score of at most ``bound``, once."""
 
+    span, odd = bound + 1, np.uint64(0x9E3779B97F4A7C15)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = np.frombuffer(b"".join(batch.column("digest").to_pylist()), np.uint8).reshape(-1, 33)
             k = segment_keys(raw, bound)
             for longer in (0, 1):
-                size = (raw[:, 0].astype(np.uint64) + np.uint64(longer)) * np.uint64(0x9E3779B97F4A7C15)
+                size = (raw[:, 0].astype(np.uint64) // np.uint64(span) + np.uint64(longer)) * odd
                 for s in range(bound + 1):
                     yield pa.RecordBatch.from_arrays([pa.array((k[:, s] ^ size).view(np.int64)), pa.array(np.full(len(raw), s, np.int32)), batch.column("digest")], ["k", "s", "digest"])
 
     def run(part: pa.Table) -> pa.Table:
         k, s = part.column("k").to_numpy(), part.column("s").to_numpy()
-        order = np.lexsort((s, k))
         held = part.column("digest").to_pylist()
-        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 33)[order]
-        k, s = k[order], s[order]
+        raw = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 33)
+        order = np.lexsort((raw[:, 0], s, k))
+        k, s, raw = k[order], s[order], raw[order]
         edges = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]), [True]])) if len(k) else np.zeros(0, np.int64)
         out: list[list] = [[], [], []]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo < 2:
                 continue
             own = raw[lo:hi]
-            bits, segments, size = unary(own), segment_keys(own, bound), own[:, 0].astype(np.int64)
-            top = (int(k[lo]) & (1 << 64) - 1) ^ int(segments[0, s[lo]])
-            for i in range(hi - lo - 1):
-                far = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(axis=1) + np.abs(size[i + 1:] - size[i])
-                for j in (i + 1 + np.flatnonzero(far <= bound)).tolist():
-                    same = int(np.flatnonzero(segments[i] == segments[j])[0]) == s[lo]
-                    longest = int(max(size[i], size[j])) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-                    if same and longest == top and abs(size[i] - size[j]) <= 1:
+            segments, size = segment_keys(own, bound), own[:, 0].astype(np.int64)
+            # the longer one of a pair, the later here, must be of this range itself
+            mine = (size // span).astype(np.uint64) * odd == k[lo:lo + 1].view(np.uint64) ^ segments[0, s[lo]]
+            if not mine.any():
+                continue
+            bits, least = unary(own), np.searchsorted(size, size - bound)
+            for j in np.flatnonzero(mine).tolist():
+                at = int(least[j])
+                far = np.bitwise_count(bits[at:j] ^ bits[j]).sum(axis=1, dtype=np.int64) + size[j] - size[at:j]
+                for i in (at + np.flatnonzero(far <= bound)).tolist():
+                    if int(np.flatnonzero(segments[i] == segments[j])[0]) == s[lo]:
                         a, b = sorted((own[i].tobytes(), own[j].tobytes()))
                         out[0].append(a)
                         out[1].append(b)
-                        out[2].append(int(far[j - i - 1]))
+                        out[2].append(int(far[i - at]))
         return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary()), "score": pa.array(out[2], pa.int32())})
 
     keyed = distinct.select("digest").mapInArrow(keys, "k long, s int, digest binary")
@@ -131,9 +137,9 @@ def _near(distinct: DataFrame, bound: int) -> DataFrame:
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", bound: int = BOUND) -> DataFrame:
     """(key, digest, matches, nearest, score) for every row.
 
-    ``matches`` counts the other rows whose digest differs by at most ``bound``
-    (and whose length code by one at most), ``nearest`` is the key of the best of
-    them (by score, then by key; null keys last), ``score`` its score. Texts of
+    ``matches`` counts the other rows whose digest differs by at most ``bound``,
+    whatever part of that lies in the length codes; ``nearest`` is the key of the
+    best of them (by score, then by key; null keys last), ``score`` its score. Texts of
     fewer than three bytes and nulls have no digest and match nothing. Repeated
     rows match one another. An empty table gives an empty table. Whole texts are
     read, other columns are not.

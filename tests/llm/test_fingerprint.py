@@ -61,6 +61,19 @@ def test_neighbours_against_brute_force(spark):
     assert out == sorted(want, key=str) and sum(w[3] not in (None, 0) for w in want) > 5
 
 
+def test_length_codes_that_differ_by_more_than_one(spark):
+    sample = ["abc", "abcd", "abcde", "aaa", "aaaa", "aaaaa", "aaaaaa", "é", "éé", "nadornadorna", "nadornadornador", "nadornadornadornador"] + [w * n for w in ("tuket", "mi ra ", "lo") for n in (2, 3, 4, 5)] + texts(5, 40)
+    d = [plain_digest(t) if len(t.encode()) >= 3 else None for t in sample]
+    want = []
+    for i in range(len(sample)):
+        near = sorted((plain_score(d[i], d[j]), j) for j in range(len(sample)) if j != i and d[i] and d[j] and plain_score(d[i], d[j]) <= P.BOUND)
+        want.append((i, len(near), near[0][1] if near else None, near[0][0] if near else None))
+    apart = [abs(x[0] - y[0]) for x in d for y in d if x and y and plain_score(x, y) <= P.BOUND]
+    assert {2, 3, 4, 5} <= set(apart)
+    got = P.fingerprints(spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string")).select("doc_id", "matches", "nearest", "score").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_empty_table(spark):
     assert P.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

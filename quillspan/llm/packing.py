@@ -129,11 +129,12 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     table = materialize(narrow.mapInArrow(vectors, f"key {kind}, th long, words long, slots binary, times binary"), "vectors")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(SLOTS, np.int64)
+        df = np.zeros(SLOTS, np.int32)  # of one task's rows
         for batch in batches:
-            df += np.bincount(np.frombuffer(b"".join(batch.column("slots").to_pylist()), "<u4"), minlength=SLOTS)
+            slots, n = np.unique(np.frombuffer(b"".join(batch.column("slots").to_pylist()), "<u4"), return_counts=True)
+            df[slots] += n.astype(np.int32)
         held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(held.astype(np.int32)), "n": pa.array(df[held])})
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(held.astype(np.int32)), "n": pa.array(df[held].astype(np.int64))})
 
     many, total = table.agg(F.count("*"), F.sum("words")).first()
     got = table.select("slots").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()

@@ -7,11 +7,15 @@ code is only left where an algorithm is inherently sequential.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
+import inspect
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+ARROW_BYTES = 4 << 20
 
 
 # ---- scratch tables
@@ -47,7 +52,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -67,6 +73,53 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+# ---- memory of Python workers
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions inside send at most ``ARROW_BYTES`` to a Python worker at once, a longer row alone.
+
+    Spark's 64 MB are held several times over, outside the heap of the executor
+    and in the worker. What a function returns must not depend on where batches end.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    if 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) <= ARROW_BYTES:
+        yield
+        return
+    spark.conf.set(name, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Return what was freed to the system: a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, a function of one argument that works in Python workers, with ``give_back`` at its end."""
+
+    @functools.wraps(run)
+    def each(data):
+        yield from run(data)
+        give_back()
+
+    @functools.wraps(run)
+    def whole(data):
+        out = run(data)
+        give_back()
+        return out
+
+    return each if inspect.isgeneratorfunction(run) else whole
+
+
 def named(name: str):
     """The column of that name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

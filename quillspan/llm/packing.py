@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_texts, materialize, mix, named, pieces, row_bounds, text_buffers, words
+from .common import lean, lower_texts, materialize, mix, named, pieces, row_bounds, small_batches, text_buffers, words
 
 SLOTS = 1 << 22
 WINDOW = 8192
@@ -46,7 +46,17 @@ def idf_of(df: np.ndarray, docs: int) -> np.ndarray:
     return np.log1p((docs - df + 0.5) / (df + 0.5))
 
 
-def route(slots: np.ndarray, idf: np.ndarray) -> int:
+class Idf:
+    """``idf_of`` by slot from document frequencies in 32 bits, half of what all its values would take."""
+
+    def __init__(self, df: np.ndarray, docs: int) -> None:
+        self.df, self.docs = df.astype(np.uint32), docs
+
+    def __getitem__(self, slots: np.ndarray) -> np.ndarray:
+        return idf_of(self.df[slots].astype(np.float64), self.docs)
+
+
+def route(slots: np.ndarray, idf: np.ndarray | Idf) -> int:
     """The slot that stands for a document: the weighted minimum of hashes, -1 without words."""
     if not len(slots):
         return -1
@@ -58,7 +68,7 @@ def weights(times: np.ndarray, length: int, average: float) -> np.ndarray:
     return times * (K1 + 1) / (times + K1 * (1 - B + B * length / max(average, 1e-9)))
 
 
-def fill(lengths: list[int], slots: list[np.ndarray], times: list[np.ndarray], idf: np.ndarray, average: float, window: int) -> list[tuple[int, int, int, int, int, float | None]]:
+def fill(lengths: list[int], slots: list[np.ndarray], times: list[np.ndarray], idf: np.ndarray | Idf, average: float, window: int) -> list[tuple[int, int, int, int, int, float | None]]:
     """(document, window, place, first word, words, score) of all parts of the documents of one shard, which are in order.
 
     A document longer than a window fills as many alone as it can; its rest is
@@ -118,6 +128,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     narrow = docs.select(named(key).alias("key"), F.xxhash64(named(text)).alias("th"), named(text).alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
 
+    @lean
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(term_counts(batch.column("text")))
@@ -128,6 +139,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
 
     table = materialize(narrow.mapInArrow(vectors, f"key {kind}, th long, words long, slots binary, times binary"), "vectors")
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(SLOTS, np.int32)  # of one task's rows
         for batch in batches:
@@ -137,13 +149,15 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
         yield pa.RecordBatch.from_pydict({"slot": pa.array(held.astype(np.int32)), "n": pa.array(df[held].astype(np.int64))})
 
     many, total = table.agg(F.count("*"), F.sum("words")).first()
-    got = table.select("slots").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(SLOTS)
+    with small_batches(docs.sparkSession):
+        got = table.select("slots").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(SLOTS, np.uint32)
     df[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     average = (total or 0) / max(1, many)
-    held = docs.sparkSession.sparkContext.broadcast(idf_of(df, many))
+    held = docs.sparkSession.sparkContext.broadcast(Idf(df, many))
 
     @F.arrow_udf("int")
+    @lean
     def routed(slots: pa.Array) -> pa.Array:
         return pa.array([route(np.frombuffer(s, "<u4"), held.value) for s in slots.to_pylist()], pa.int32())
 
@@ -154,6 +168,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     way = F.when(F.col("ways").isNull(), 0).otherwise(F.pmod(F.xxhash64("th", "key"), F.col("ways")))
     sharded = located.join(crowded, "route", "left").withColumn("shard", F.pmod(F.xxhash64("route", way), F.lit(shards)).cast("int")).select("shard", "key", "th", "words", "slots", "times")
 
+    @lean
     def run(part: pa.Table) -> pa.Table:
         part = part.append_column("no_key", part.column("key").is_null()).sort_by([("no_key", "ascending"), ("key", "ascending"), ("th", "ascending")])
         slots = [np.frombuffer(s, "<u4") for s in part.column("slots").to_pylist()]

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import cosine, search_tokens
 
@@ -63,20 +69,132 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "id", vector:
     return vectors.select(key, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(max(0, k))
 
 
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors as rows of doubles, their lengths): short rows are filled with zeros, nulls and vectors that hold a null have length -1."""
+    vectors = vectors.cast(pa.list_(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat, at = pc.list_flatten(vectors), np.repeat(np.arange(len(size)), size)
+    out = np.zeros((len(size), max(int(size.max(initial=0)), 1)))
+    out[np.arange(out.shape[1]) < size[:, None]] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    size = np.where(pc.is_valid(vectors).to_numpy(zero_copy_only=False), size, -1)
+    size[at[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    return out, size
+
+
+def _sum(products: Iterator[np.ndarray], n: int) -> np.ndarray:
+    """One after the other, as SQL adds them, so that equal vectors get equal scores."""
+    out = np.zeros(n)
+    for p in products:
+        out += p
+    return out
+
+
+def _best(x: np.ndarray, y: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each x, not-a-number first, ties to the least y."""
+    order = np.lexsort((y, -np.nan_to_num(score, nan=2.0), x))
+    x = x[order]
+    kept = np.arange(len(x)) - np.searchsorted(x, x) < k
+    return x[kept], y[order][kept], score[order][kept]
+
+
+@np.errstate(all="ignore")
+def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of v, cosine) of the k best rows of v for each row of q, ties to the first.
+
+    A matrix product finds the rows that may be among the best; the cosines of
+    these alone are then computed as SQL does.
+    """
+    qq, vv = _sum((x * x for x in q.T), len(q)), _sum((x * x for x in v.T), len(v))
+    # without a direction the cosine is not a number, whatever the other vector: only the first k can count
+    none = np.isnan(vv) | (vv == 0)
+    rows = np.flatnonzero(~none | (np.cumsum(none) <= k))
+    v, vv = v[rows], vv[rows]
+    plain_q, plain_v = ((1e-150 < n) & (n < 1e150) for n in (qq, vv))
+    none, odd = np.isnan(qq) | (qq == 0), np.flatnonzero(~plain_v)
+    qn, vn = (np.where(p[:, None], m / np.sqrt(n)[:, None], 0) for m, n, p in ((q, qq, plain_q), (v, vv, plain_v)))
+    wide = max(1, min(32, len(v) // (8 * k)))
+    whole, step, found = len(v) // wide * wide, max(1, 4_000_000 // max(1, len(v))), []
+    for at in range(0, len(q), step):
+        alike = qn[at : at + step] @ vn.T
+        hit = np.ones(alike.shape, bool)
+        if len(v) > k:
+            alike[:, odd] = -2
+            # the k-th best of the groups' maxima is at most the k-th best of all; products are wrong by rounding only
+            top = alike[:, :whole].reshape(len(alike), -1, wide).max(2)
+            hit = alike >= np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k, None] - 1e-9
+            hit[:, odd] = True
+            hit[~plain_q[at : at + step]] = True
+            hit[none[at : at + step], k:] = False
+        a, b = np.nonzero(hit)
+        scores = [np.zeros(0)]
+        for i in range(0, len(a), 1_000_000):
+            x, y = a[i : i + 1_000_000] + at, b[i : i + 1_000_000]
+            scores.append(np.clip(_sum((n[x] * m[y] for n, m in zip(q.T, v.T, strict=True)), len(x)) / np.sqrt(qq[x] * vv[y]), -1.0, 1.0))
+        found.append(_best(a + at, b, np.concatenate(scores), k))
+    x, y, score = map(np.concatenate, zip(*found, strict=True))
+    return x, rows[y], score
+
+
+def _cell(v: pa.Table, q: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, key, score) of the k best rows of ``v``, which is in order of its keys, for each row of ``q``."""
+    if not (len(v) and len(q) and k > 0):
+        return
+    (mv, nv), (mq, nq) = (_matrix(t["vector"].combine_chunks()) for t in (v, q))
+    for d in np.unique(nq):
+        asked, held = np.flatnonzero(nq == d), np.flatnonzero((nv == d) & (d >= 0))
+        other = np.setdiff1d(np.arange(len(v)), held)[: max(0, k - len(held))]  # these have no cosine, and come last
+        x, y = np.repeat(asked, len(other)), np.tile(other, len(asked))
+        score = pa.nulls(len(x), pa.float64())
+        if len(held):
+            a, b, s = _nearest(mq[asked, : max(d, 1)], mv[held, : max(d, 1)], k)
+            x, y = np.concatenate([asked[a], x]), np.concatenate([held[b], y])
+            score = pa.concat_arrays([pa.array(s, from_pandas=False), score])
+        yield from pa.table({"query_id": q["query_id"].take(pa.array(x)), "key": v["key"].take(pa.array(y)), "score": score}).to_batches(100_000)
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", blocks: int = 16) -> DataFrame:
     """(query_id, key, score, rank): the k nearest of every query.
 
-    Both sides are cut into blocks; each pair of blocks keeps k for each query
-    before the pairs meet, so no side has to fit anywhere as a whole.
+    Both sides are cut into blocks of bounded size, the vectors into ``blocks``
+    at least; a task keeps k for each query of one pair of blocks before the
+    pairs meet, so no side has to fit anywhere as a whole.
     """
-    unit = F.transform(F.col(vector), lambda x: x.cast("double"))
-    size = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
-    left = vectors.select(key, F.transform(unit, lambda x: x / size).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    right = queries.select("query_id", F.transform(unit, lambda x: x / size).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = right.join(left, "block").select("query_id", "block", key, dot.alias("score"))
-    near = top_k(pairs, ["query_id", "block"], key, k).drop("rank", "block")
-    return top_k(near, ["query_id"], key, k)
+    n = vectors.agg(F.count("*").alias("v"), F.coalesce(F.max(F.size(vector)), F.lit(1)).alias("wide")).crossJoin(queries.agg(F.count("*").alias("q"))).first()
+    most = max(1, min(16_384, 4_000_000 // max(1, n["wide"])))
+    down, over = max(blocks, -(-n["v"] // most)), max(1, -(-n["q"] // most))
+
+    def block(c: str, of: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+
+    def every(of: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+
+    key_type, id_type = vectors.schema[key].dataType, queries.schema["query_id"].dataType
+    left = vectors.select(F.col(key).alias("key"), F.lit(None).cast(id_type).alias("query_id"), F.col(vector).alias("vector"), block(key, down).alias("d"), every(over).alias("o"), F.lit(False).alias("asks"))
+    right = queries.select(F.lit(None).cast(key_type).alias("key"), "query_id", F.col(vector).alias("vector"), every(down).alias("d"), block("query_id", over).alias("o"), F.lit(True).alias("asks"))
+    cells = left.unionByName(right).select("key", "query_id", "vector", "asks", (F.col("o") * down + F.col("d")).alias("cell")).repartitionById(down * over, F.col("cell")).sortWithinPartitions("cell", "asks", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cell(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(rows)
+            asks = table["asks"].to_numpy()
+            first = int(np.argmax(asks)) if asks.any() else len(asks)
+            return _cell(table[:first], table[first:], k)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            of = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)] if len(of) else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column("cell")[0].as_py() != of[a]:
+                    yield from cell(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from cell(held)
+
+    near = cells.mapInArrow(run, StructType([StructField("query_id", id_type), StructField("key", key_type), StructField("score", DoubleType())]))
+    return top_k(near.select("query_id", F.col("key").alias(key), "score"), ["query_id"], key, k)
 
 
 # ---- fusion

@@ -121,12 +121,36 @@ def merge_blame(lines: DataFrame) -> DataFrame:
     return n.groupBy("chunk_id").agg(F.max(F.struct("n", "at", "sha")).alias("m")).select("chunk_id", "m.sha", F.col("m.n").alias("lines"))
 
 
+def _blocks(first: Column, last: Column) -> Column:
+    """(level, block) of the fewest aligned blocks of 2**level lines that make up first..last, two of a level at most."""
+    end = last + 1
+
+    def of_level(level: Column) -> Column:
+        lo, hi = -F.call_function("shiftright", -first, level), F.call_function("shiftright", end, level)
+        left, right = (F.when((lo < hi) & (F.pmod(x, F.lit(2)) == 1), F.struct(level.alias("level"), at.alias("block"))) for x, at in ((lo, lo), (hi, hi - 1)))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2((end - first).cast("double"))).cast("int") + 1)  # one more, should the logarithm be rounded down
+    return F.filter(F.flatten(F.transform(levels, of_level)), lambda x: x.isNotNull())
+
+
 def enclosing_symbol(sites: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each call site (site_id, file_path, line) with the narrowest symbol around it, ties to the later start, then the id."""
-    s = symbols.select("file_path", F.col("id").alias("symbol_id"), "start_line", "end_line")
-    around = sites.join(s, "file_path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    nth = F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), "symbol_id"))
-    return around.withColumn("nth", nth).where("nth = 1").select("site_id", "symbol_id")
+    """Each call site (site_id, file_path, line) with the narrowest symbol around it, ties to the later start, then the id.
+
+    Symbols are cut into aligned blocks of lines, of which each keeps its best
+    symbol alone; a line is in one block of each level. So a file's sites never
+    meet all its symbols.
+    """
+    lines = F.col("start_line").cast("long"), F.col("end_line").cast("long")
+    best = F.min(F.struct((lines[1] - lines[0]).alias("width"), (-lines[0]).alias("later"), F.col("id").alias("symbol_id"))).alias("best")
+    spans = symbols.where("start_line <= end_line and file_path is not null").groupBy("file_path", lines[0].alias("start_line"), lines[1].alias("end_line")).agg(best)
+    held = spans.select("file_path", "best", F.explode(_blocks(F.col("start_line"), F.col("end_line"))).alias("b")).groupBy("file_path", "b.level", "b.block").agg(F.min("best").alias("best"))
+    highest = held.groupBy("file_path").agg(F.max("level").alias("highest"))
+    asked = sites.where("line is not null").select("file_path", F.col("line").cast("long").alias("line")).distinct().join(highest, "file_path")
+    at = asked.select("file_path", "line", F.explode(F.sequence(F.lit(0), F.col("highest"))).alias("level")).withColumn("block", F.call_function("shiftright", F.col("line"), F.col("level")))
+    around = at.join(held, ["file_path", "level", "block"]).groupBy("file_path", "line").agg(F.min("best").alias("best"))
+    out = sites.select("site_id", "file_path", F.col("line").cast("long").alias("line")).join(around, ["file_path", "line"])
+    return out.groupBy("site_id").agg(F.min("best").alias("best")).select("site_id", "best.symbol_id")
 
 
 def distinct_calls(calls: DataFrame, specificity: dict[str, int]) -> DataFrame:

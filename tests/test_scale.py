@@ -2,7 +2,7 @@
 
 import random
 
-from quillspan.operators import retrieval
+from quillspan.operators import ingest, retrieval
 
 
 def test_knn_batch_against_brute_force(spark):
@@ -33,3 +33,25 @@ def test_knn_batch_joins_no_pairs(spark):
     v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "id long, embedding array<float>")
     plan = retrieval.knn_batch(v, v.withColumnRenamed("id", "query_id"), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "zip_with" not in plan
+
+
+def test_enclosing_symbol_against_brute_force(spark):
+    rng = random.Random(2)
+    symbols = [(i, f"f{rng.randrange(3)}", a := rng.randrange(-40, 300), a + rng.choice([-1, 0, 1, 2, 7, 8, 40, 100])) for i in range(400)] + [(900, "f0", -(2**31), 2**31 - 1), (901, None, 1, 5), (902, "f1", None, 5)]
+    sites = [(i, rng.choice(["f0", "f1", "f2", "g", None]), rng.choice([None, *range(-60, 350)])) for i in range(600)] + [(5, "f1", 17)]
+    want = {}
+    for site, path, line in sites:
+        around = [(e - s, -s, i) for i, p, s, e in symbols if path and p == path and None not in (line, s) and s <= line <= e]
+        if around:
+            want[site] = min([*around, want.get(site, around[0])])
+    got = ingest.enclosing_symbol(spark.createDataFrame(sites, "site_id long, file_path string, line int"), spark.createDataFrame(symbols, "id long, file_path string, start_line int, end_line int"))
+    assert sorted(map(tuple, got.collect())) == sorted((s, b[2]) for s, b in want.items())
+
+
+def test_enclosing_symbol_meets_few_symbols_a_site(spark):
+    sites = spark.range(20_000).selectExpr("id as site_id", "'f' as file_path", "id as line")
+    symbols = spark.range(20_000).selectExpr("id", "'f' as file_path", "id as start_line", "id + 10000 as end_line")
+    got = ingest.enclosing_symbol(sites, symbols)
+    assert got.agg({"symbol_id": "sum", "site_id": "count"}).first() == (20_000, sum(range(20_000)))
+    joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all(">=" not in x and "<=" not in x for x in joins)

@@ -43,7 +43,12 @@ def _local_folder() -> str:
 
 
 def on_branch(symbols: DataFrame, branch_symbols: DataFrame, branch: str) -> DataFrame:
-    return symbols.join(branch_symbols.where(F.col("branch") == branch).select(F.col("symbol_id").alias("id")), "id", "left_semi")
+    return joined(symbols, branch_symbols.where(F.col("branch") == branch).select(F.col("symbol_id").alias("id")), "id", "left_semi")
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that sends neither side to the driver, however small it looks: rounds of walks would send it again and again."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def name_key(name: Column, language: Column) -> Column:
@@ -70,7 +75,8 @@ def resolved(edges: DataFrame, symbols: DataFrame, branch_symbols: DataFrame, br
     own = on_branch(symbols, branch_symbols, branch)
     unique = own.groupBy(F.lower("name").alias("target_key")).agg(F.count("*").alias("n"), F.min("id").alias("by_name")).where("n = 1").select("target_key", "by_name")
     held = own.select(F.col("id").alias("to_symbol_id"), F.col("id").alias("stored"))
-    out = edges.join(own.select(F.col("id").alias("from_symbol_id")), "from_symbol_id", "left_semi").join(held, "to_symbol_id", "left").withColumn("target_key", F.lower("target_name")).join(unique, "target_key", "left")
+    out = joined(joined(edges, own.select(F.col("id").alias("from_symbol_id")), "from_symbol_id", "left_semi"), held, "to_symbol_id", "left")
+    out = joined(out.withColumn("target_key", F.lower("target_name")), unique, "target_key", "left")
     return out.select("id", F.col("from_symbol_id").alias("src"), F.coalesce("stored", "by_name").alias("dst"), "call_type")
 
 
@@ -101,17 +107,18 @@ def centrality(edges: DataFrame, symbols: DataFrame, branch_symbols: DataFrame,
 def reach(links: DataFrame, roots: DataFrame, direction: str = "callees", depth: int = 10) -> DataFrame:
     """(id, depth) of all that can be reached from ``roots`` (id), themselves left out, at the least depth.
 
-    One join a level, each written out. ``both`` is the union of the two
-    directed walks.
+    One join a level, each written out; the links are worked out once. ``both``
+    is the union of the two directed walks.
     """
     if direction == "both":
+        links = cut(links.select("src", "dst"), "links")
         two = reach(links, roots, "callees", depth).union(reach(links, roots, "callers", depth))
         return two.groupBy("id").agg(F.min("depth").alias("depth"))
-    step = links.where("dst is not null").select(F.col("src" if direction == "callees" else "dst").alias("id"), F.col("dst" if direction == "callees" else "src").alias("next")).distinct()
+    step = cut(links.where("dst is not null").select(F.col("src" if direction == "callees" else "dst").alias("id"), F.col("dst" if direction == "callees" else "src").alias("next")).distinct(), "step")
     seen = cut(roots.select(F.col("id"), F.lit(0).alias("depth")).distinct(), "reach")
     front = seen
     for d in range(1, depth + 1):
-        new = front.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
+        new = joined(joined(front, step, "id").select(F.col("next").alias("id")).distinct(), seen, "id", "left_anti").withColumn("depth", F.lit(d))
         front = cut(new, "front")
         if front.isEmpty():
             break
@@ -122,13 +129,13 @@ def reach(links: DataFrame, roots: DataFrame, direction: str = "callees", depth:
 def shortest_path(links: DataFrame, start: int, goal: int, depth: int = 10) -> DataFrame:
     """(step, id) along a shortest path of at most ``depth`` calls, the least parent at every step; no rows without one."""
     spark = links.sparkSession
-    step = links.where("dst is not null").select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct()
+    step = cut(links.where("dst is not null").select(F.col("src").alias("id"), F.col("dst").alias("next")).distinct(), "step")
     seen = cut(spark.createDataFrame([(start, None, 0)], "id long, parent long, depth int"), "path")
     front, found = seen, start == goal
     for d in range(1, depth + 1):
         if found:
             break
-        new = front.join(step, "id").groupBy("next").agg(F.min("id").alias("parent")).select(F.col("next").alias("id"), "parent").join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        new = joined(joined(front, step, "id").groupBy("next").agg(F.min("id").alias("parent")).select(F.col("next").alias("id"), "parent"), seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
         front = cut(new, "front")
         if front.isEmpty():
             break

@@ -2,7 +2,7 @@
 
 import random
 
-from quillspan.operators import ingest, retrieval
+from quillspan.operators import graph, ingest, retrieval
 
 
 def test_knn_batch_against_brute_force(spark):
@@ -55,3 +55,21 @@ def test_enclosing_symbol_meets_few_symbols_a_site(spark):
     assert got.agg({"symbol_id": "sum", "site_id": "count"}).first() == (20_000, sum(range(20_000)))
     joins = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert joins and all(">=" not in x and "<=" not in x for x in joins)
+
+
+def links(spark, pairs):
+    return spark.createDataFrame([(i, a, b, "Call") for i, (a, b) in enumerate(pairs)], "id long, src long, dst long, call_type string")
+
+
+def test_a_walk_works_out_its_links_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            met.add(len(batch))
+            yield batch
+
+    pairs = links(spark, [(i, i + 1) for i in range(1, 9)])
+    watched = pairs.mapInPandas(seen, pairs.schema)
+    assert graph.reach(watched, spark.createDataFrame([(1,)], "id long"), "both", 4).count() == 4
+    assert met.value == 8

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
@@ -153,18 +153,26 @@ def shortest_path(links: DataFrame, start: int, goal: int, depth: int = 10) -> D
 
 # ---- communities
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that undirected links connect, by label spreading with pointer jumps."""
-    ways = links.where("dst is not null and src != dst").select("src", "dst")
-    ways = cut(ways.union(ways.select("dst", "src")).distinct(), "ways")
-    labels = cut(ways.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "id"), "labels")
+    """(id, component): the smallest id that undirected links connect.
+
+    Large and small stars in turn (Kiveris et al.): a round moves the links of
+    each node to its least neighbour, first those to greater nodes, then those
+    to smaller ones, until every component is one star around its least id.
+    Rounds grow with the logarithm of the nodes, and nothing is joined.
+    """
+    least = Window.partitionBy("u")
+    ways = cut(links.where("dst is not null and src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "ways")
+    before = None
     while True:
-        near = ways.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        better = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        jump = labels.toDF("component", "further")
-        new = cut(better.join(jump, "component", "left").select("id", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "labels")
-        labels = new.select("id", "component")
-        if new.where("component != old").isEmpty():
-            return labels
+        now = ways.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if now == before:
+            break
+        before = now
+        both = ways.union(ways.select("v", "u")).withColumn("m", F.min(F.least("u", "v")).over(least))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(least)).select(F.explode(F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")])).alias("w")).select("w.*")
+        ways = cut(small.where("u != v").distinct(), "ways")
+    return ways.toDF("id", "component").union(ways.select("v", "v").distinct())
 
 
 def _propagate(part: pd.DataFrame) -> pd.DataFrame:

@@ -61,6 +61,24 @@ def links(spark, pairs):
     return spark.createDataFrame([(i, a, b, "Call") for i, (a, b) in enumerate(pairs)], "id long, src long, dst long, call_type string")
 
 
+def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    ids = list(range(1, 1501))
+    rng.shuffle(ids)
+    loose = [(10_000 + rng.randrange(300), 10_000 + rng.randrange(300)) for _ in range(120)]
+    root = {x: x for p in loose for x in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in loose:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    rounds, own = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: rounds.append(name) or own(df, name))
+    got = graph.components(links(spark, [*zip(ids, ids[1:], strict=False), *loose, (5, None)]))
+    assert sorted(map(tuple, got.collect())) == sorted([(x, 1) for x in ids] + list(root.items()))
+    assert len(rounds) <= 12
+    assert graph.components(links(spark, [(1, 1), (2, None)])).count() == 0
+
+
 def test_a_walk_works_out_its_links_once(spark):
     met = spark.sparkContext.accumulator(0)
 

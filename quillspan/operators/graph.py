@@ -202,11 +202,11 @@ def communities(links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     The order within a component is sequential by definition, so a component is
     one task; ``seeds`` (id) restricts the work to their components.
     """
-    pairs = links.where("dst is not null and src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    part = components(links)
+    pairs = cut(links.where("dst is not null and src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    part = components(pairs)
     if seeds is not None:
-        part = part.join(part.join(seeds, "id", "left_semi").select("component").distinct(), "component", "left_semi")
-    return pairs.join(part.withColumnRenamed("id", "src"), "src").groupBy("component").applyInPandas(_propagate, "id long, label long")
+        part = joined(part, joined(part, seeds, "id", "left_semi").select("component").distinct(), "component", "left_semi")
+    return joined(pairs, part.withColumnRenamed("id", "src"), "src").groupBy("component").applyInPandas(_propagate, "id long, label long")
 
 
 def couplings(links: DataFrame, labels: DataFrame, least: int = 1) -> DataFrame:

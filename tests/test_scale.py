@@ -79,6 +79,12 @@ def test_components_of_a_shuffled_path_take_few_rounds(spark, monkeypatch):
     assert graph.components(links(spark, [(1, 1), (2, None)])).count() == 0
 
 
+def test_walks_and_components_send_no_table_to_the_driver(spark):
+    pairs = links(spark, [(1, 2), (2, 3), (7, 8)])
+    for df in (graph.components(pairs), graph.communities(pairs), graph.reach(pairs, spark.createDataFrame([(1,)], "id long"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_walk_works_out_its_links_once(spark):
     met = spark.sparkContext.accumulator(0)
 

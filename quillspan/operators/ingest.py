@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,20 +183,32 @@ def python_symbols(files: DataFrame) -> DataFrame:
 
 
 def merge_small(chunks: DataFrame, small: int = 100, most: int = 2000) -> DataFrame:
-    """Touching chunks of a file folded from the top: a chunk under ``small`` bytes takes the next as long as both fit ``most``."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in part.sort_values(["start_line", "end_line"]).itertuples(index=False):
-            last = out[-1] if out else None
-            size = len(r.content.encode())
-            if last and last[4] < small and last[4] + size <= most and last[2] + 1 >= r.start_line:
-                last[2], last[3], last[4] = max(last[2], r.end_line), last[3] + "\n" + r.content, last[4] + 1 + size
-            else:
-                out.append([r.path, r.start_line, r.end_line, r.content, size])
-        return pd.DataFrame([x[:4] for x in out], columns=["path", "start_line", "end_line", "content"])
-
-    return chunks.select("path", "start_line", "end_line", "content").groupBy("path").applyInPandas(fold, "path string, start_line int, end_line int, content string")
+    """Touching chunks of a file folded from the top: a chunk under ``small`` bytes takes the next as long as both fit ``most``.
+
+    Files follow one another in a task, so that none costs a call of its own.
+    """
+    schema = pa.schema([("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+        last: list | None = None
+        for batch in batches:
+            out = []
+            for path, first, end, content, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last and last[0] == path and last[4] < small and last[4] + size <= most and last[2] + 1 >= first:
+                    last[2], last[3], last[4] = max(last[2], end), last[3] + "\n" + content, last[4] + 1 + size
+                    continue
+                if last:
+                    out.append(last)
+                last = [path, first, end, content, size]
+            yield batch_of(out)
+        if last:
+            yield batch_of([last])
+
+    rows = chunks.select("path", "start_line", "end_line", "content", F.octet_length("content").alias("size"))
+    return rows.repartition("path").sortWithinPartitions("path", "start_line", "end_line", "content").mapInArrow(fold, "path string, start_line int, end_line int, content string")
 
 
 def batches(items: DataFrame, most_tokens: int = 7500, most_items: int = 64, group: str = "file_path") -> DataFrame:

@@ -97,3 +97,28 @@ def test_a_walk_works_out_its_links_once(spark):
     watched = pairs.mapInPandas(seen, pairs.schema)
     assert graph.reach(watched, spark.createDataFrame([(1,)], "id long"), "both", 4).count() == 4
     assert met.value == 8
+
+
+def test_merge_small_against_one_file_at_a_time(spark):
+    rng = random.Random(4)
+    rows = []
+    for f in range(40):
+        at = 1
+        for _ in range(rng.randrange(1, 30)):
+            n = rng.randrange(1, 5)
+            rows.append((f"f{f}", at, at + n - 1, rng.choice(["x", "é" * 20, "y" * 99, "z" * 100, "w" * 1950]) + f" {at}"))
+            at += n + rng.choice([0, 0, 0, -1, 1])
+    want = []
+    for f in range(40):
+        out = []
+        for path, first, last, content in sorted(r for r in rows if r[0] == f"f{f}"):
+            if out and len(out[-1][3].encode()) < 100 and len(out[-1][3].encode()) + len(content.encode()) <= 2000 and out[-1][2] + 1 >= first:
+                out[-1] = (path, out[-1][1], max(out[-1][2], last), out[-1][3] + "\n" + content)
+            else:
+                out.append((path, first, last, content))
+        want += out
+    rng.shuffle(rows)
+    got = ingest.merge_small(spark.createDataFrame(rows, "path string, start_line int, end_line int, content string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # a call for each file
+    assert ingest.merge_small(spark.createDataFrame([], "path string, start_line int, end_line int, content string")).count() == 0

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -51,7 +53,7 @@ def line_chunks(files: DataFrame, size: int = 30) -> DataFrame:
     body = F.regexp_replace(F.col("content"), r"\n\z", "")
     lines = F.split(body, "\n", -1)
     out = files.withColumn("_lines", lines).select("path", F.explode(_windows(F.col("_lines"), F.size("_lines"), size, step)).alias("c")).select("path", "c.*")
-    return out.where(F.trim(F.regexp_replace("content", r"\s", " ")) != "")
+    return out.where(F.col("content").rlike(r"\S"))
 
 
 def split_large(chunks: DataFrame, most: int = 2000, size: int = 12, step: int = 9, least: int = 50) -> DataFrame:
@@ -81,10 +83,17 @@ def coverage_sample(chunks: DataFrame, limit: int, group: str = "path", order: t
 HINTS = [("async", r"\basync\b|\bawait\b|promise"), ("http", r"\bhttps?\b|fetch\(|request"), ("database", r"\bselect\b|\binsert\b|query"), ("error-handling", r"\btry\b|\bcatch\b|\bexcept\b|\braise\b"), ("test", r"\bassert\b|\bexpect\(|\bdescribe\("), ("config", r"\bconfig\b|\benv\b"), ("cache", r"\bcach(e|ing)\b"), ("auth", r"\btoken\b|\bauth"), ("loop", r"\bfor\b|\bwhile\b"), ("class", r"\bclass\b"), ("export", r"\bexport\b|\bpub\b")]
 
 
+#: Every match of a tag's pattern holds one of these: a plain search spares most texts the pattern.
+NEEDLES = {"async": "async await promise", "http": "http fetch( request", "database": "select insert query", "error-handling": "try catch except raise", "test": "assert expect( describe(", "config": "config env", "cache": "cach", "auth": "token auth", "loop": "for while", "class": "class", "export": "export pub"}
+
+
 def hint_tags(text: Column, most: int = 6) -> Column:
     """The first ``most`` tags, in order, whose pattern occurs."""
-    tags = F.array(*[F.when(F.lower(text).rlike(p), F.lit(t)) for t, p in HINTS])
-    return F.slice(F.filter(tags, lambda x: x.isNotNull()), 1, most)
+    low = F.lower(text)
+    held = {t: reduce(or_, [low.contains(x) for x in words.split()]) for t, words in NEEDLES.items()}
+    # joined and split again, as a lambda over the patterns would keep them from being compiled, and the text would be lowered for each
+    tags = F.concat_ws(",", *[F.when(held[t] & low.rlike(p), F.lit(t)) for t, p in HINTS])
+    return F.slice(F.filter(F.split(tags, ","), lambda x: x != ""), 1, most)
 
 
 def embedding_text(chunks: DataFrame, most: int = 2000) -> DataFrame:
@@ -93,7 +102,8 @@ def embedding_text(chunks: DataFrame, most: int = 2000) -> DataFrame:
     n = F.greatest(F.lit(1), F.ceil((F.length("content") - overlap) / (most - overlap)).cast("int"))
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("content"), i * (most - overlap) + 1, F.lit(most)))
     head = F.concat_ws(" | ", language(F.col("path")), dirname(F.col("path")), F.array_join(hint_tags(F.col("content")), ", "))
-    each = chunks.select("path", "start_line", head.alias("head"), n.alias("parts"), F.posexplode(parts).alias("part", "body"))
+    # the header before the parts: else it is made again from the whole content for each of them
+    each = chunks.select("path", "start_line", "content", head.alias("head")).select("path", "start_line", "head", n.alias("parts"), F.posexplode(parts).alias("part", "body"))
     note = F.when(F.col("parts") > 1, F.concat(F.lit("\nPart "), (F.col("part") + 1).cast("string"), F.lit("/"), F.col("parts").cast("string"))).otherwise("")
     return each.select("path", "start_line", F.col("part") + 1, "parts", F.concat("head", note, F.lit("\n"), "body").alias("text")).toDF("path", "start_line", "part", "parts", "text")
 

@@ -1,6 +1,9 @@
 """Operators mended for large inputs: against brute force, and that their plans stay bounded."""
 
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from quillspan.operators import graph, ingest, retrieval
 
@@ -122,3 +125,26 @@ def test_merge_small_against_one_file_at_a_time(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # a call for each file
     assert ingest.merge_small(spark.createDataFrame([], "path string, start_line int, end_line int, content string")).count() == 0
+
+
+def test_hint_tags_against_their_patterns(spark):
+    rng = random.Random(5)
+    words = "async await promises http https fetch( xfetch requests selected select insert queries try retry catch except raise braise assert expect( describe( config reconfig env envy cache caching cached token tokens author for forty while class classy export pub public É, 日 WHILE".split()
+    texts = [(i, rng.choice([" ", "_", ".", "\n"]).join(rng.choice(words) for _ in range(rng.randrange(0, 9)))) for i in range(600)] + [(600, None), (601, "")]
+    want = {i: [t for t, p in ingest.HINTS if x and re.search(p, x.lower())][:6] for i, x in texts}
+    assert {t: set(w.split()) for t, w in ingest.NEEDLES.items()}.keys() == dict(ingest.HINTS).keys()
+    assert {r.id: r.h for r in spark.createDataFrame(texts, "id int, x string").select("id", ingest.hint_tags(F.col("x")).alias("h")).collect()} == want
+
+
+def test_embedding_text_makes_its_header_before_the_parts(spark):
+    chunk = spark.createDataFrame([("a/b.py", 1, "while x: await y\n" * 900)], "path string, start_line int, content string")
+    got = ingest.embedding_text(chunk)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("RLIKE")
+    rows = got.orderBy("part").collect()
+    assert len(rows) == 9 and all(r.text.startswith(f"python | a | async, loop\nPart {i + 1}/9\n") for i, r in enumerate(rows))
+
+
+def test_blank_chunks_are_dropped(spark):
+    files = [("a", "\n \t\f\r\x0b\n"), ("b", " "), ("c", ""), ("d", None), ("e", " \n x")]
+    assert {r.path for r in ingest.line_chunks(spark.createDataFrame(files, "path string, content string")).collect()} == {"b", "e"}
